@@ -345,12 +345,17 @@ _DIRECTIVE = re.compile(
     re.I,
 )
 _RULER = re.compile(r"[\W_]*")
+_DOC = r"(?:docs?|docstrings?|documentation|descriptions?|explanations?|comments?)"
+_THIS = r"(?:(?:of|for|to|in|on)\s+)?(?:this|the|that)\s+(?:function|method|class|one|routine|helper|code|thing)"
+# What may follow a note without saying more.
+_LATER = rf"(?:[\W_]+(?:here|later|on|soon|yet|now|so far|for now|please|pending|missing|todo|tbd|goes here|to come|coming|to follow|needed|required|{_THIS}|(?:(?:is|are|will|still|to)\s+)*(?:be\s+)?(?:added|written|done|completed|provided|missing|pending|needed)))*[\W_]*"
+_MISSING_DOC = rf"(?:(?:add|write|insert|fill in|put|provide|needs?|missing|no|improve|complete|finish)\s+(?:\w+\s+){{0,3}}?{_DOC}|{_DOC}|placeholder(?:\s+(?:for\s+)?(?:the\s+)?(?:{_DOC}|text))?|undocumented|(?:not|never) (?:yet )?documented|to be (?:documented|described|written|done|completed|added)|lorem ipsum\b.*)"
+# After a tag such as TODO, a sentence on what to document.
+_TO_DOCUMENT = rf"(?:please\s+)?(?:(?:document|describe|explain)\b|(?:add|write|insert|fill in|put|provide|needs?|missing|no|improve|complete|finish)\s+(?:\w+\s+){{0,3}}?{_DOC}\b|(?:write|finish|fill)\s+(?:this|me|it)\b)(?:[^.!?]|[.!?](?=\w))*[\W_]*"
 _PLACEHOLDER = re.compile(
-    r"[\W_]*(?:(?:todo|fixme|xxx|tbd|tba|tbc|wip|hack|placeholder|undocumented|n/?a)\b"
-    r"|(?:add|write|insert|fill in|put|provide|needs?|missing|no)\s+(?:\w+\s+){0,3}?(?:doc\w*|description|comments?)\b"
-    r"|(?:docstring|doc(?:umentation|s)?|description)\b(?:\s+\w+){0,3}?\s*(?:here|later|todo|tbd|pending|missing|goes here|to be (?:written|added|done|completed)|coming soon|to follow)"
-    r"|to be (?:documented|described|written|done|completed|added)\b|(?:not|never) (?:yet )?documented\b|lorem ipsum)",
-    re.I,
+    rf"[\W_]*(?:(?:todo|fixme|xxx|tbd|tba|tbc|wip|hack|n/?a)\b(?:[ \t]*\([^)\n]*\))?[\W_]*)*(?:{_MISSING_DOC}\b{_LATER})?"
+    rf"|[\W_]*(?:(?:todo|fixme|xxx|tbd|tba|tbc|wip)\b(?:[ \t]*\([^)\n]*\))?[\W_]*)+{_TO_DOCUMENT}",
+    re.I | re.S,
 )
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_]+")
@@ -413,7 +418,7 @@ def is_trivial(name: str, text: str) -> bool:
     words = [w.lower() for w in _WORD.findall(text)]
     if len(words) < 4:
         return True
-    if _PLACEHOLDER.match(text):
+    if _PLACEHOLDER.fullmatch(text):
         return True
     if all(_RULER.fullmatch(x) or _DIRECTIVE.match(x.strip().lstrip("# ")) for x in text.split("\n")):
         return True

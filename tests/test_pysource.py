@@ -1,0 +1,36 @@
+import pytest
+
+from corpusmill.llm.pysource import is_trivial
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Placeholder for unavailable DeepGEMM backend.",
+        "Add the given document to the index and return its id.",
+        "Write the description of the model to the config file.",
+        "Hack around the missing kernel of older devices.",
+        "No documents are read before the first flush.",
+        "TODO: add docs later.\n\nReturns the width of one row in bytes.",
+        "TODO: support the packed layout of older devices",
+    ],
+)
+def test_real_documentation_is_no_placeholder(text):
+    assert not is_trivial("_missing", text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "FIXME add a proper description here later",
+        "TODO(docs): describe the arguments of this function",
+        "TODO: explain what this one is for",
+        "Add a docstring for this function.",
+        "Documentation to be written later on",
+        "Placeholder docstring, to be written",
+        "No documentation for this method yet.",
+        "TBD TBD TBD TBD",
+    ],
+)
+def test_note_that_documentation_is_missing_is_trivial(text):
+    assert is_trivial("_missing", text)
