@@ -22,7 +22,7 @@ warnings.simplefilter("ignore", DeprecationWarning)
 _TOKEN = re.compile(
     r"""
     \#[^\n\r]*
-  | (?<![^\W\d])[bBuU]?[rR]?[bB]?(?:
+  | (?:
         \"\"\"[^"\\]*(?:(?:\\.|"(?!""))[^"\\]*)*\"\"\"
       | '''[^'\\]*(?:(?:\\.|'(?!''))[^'\\]*)*'''
       | "(?!"")[^"\\\n\r]*(?:\\(?:\r\n|.)[^"\\\n\r]*)*"

@@ -1,6 +1,6 @@
 import pytest
 
-from corpusmill.llm.pysource import is_trivial
+from corpusmill.llm.pysource import functions, is_trivial, parses
 
 
 @pytest.mark.parametrize(
@@ -34,3 +34,9 @@ def test_real_documentation_is_no_placeholder(text):
 )
 def test_note_that_documentation_is_missing_is_trivial(text):
     assert is_trivial("_missing", text)
+
+
+def test_string_directly_after_a_keyword():
+    source = 'def a():\n    return"("\n\ndef b(c):\n    if c in"([":\n        return"""\n    def no(): pass\n"""\n\ndef d(): pass\n'
+    assert parses(source)
+    assert [x.qualname for x in functions(source)] == ["a", "b", "d"]
