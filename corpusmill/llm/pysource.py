@@ -340,10 +340,13 @@ def parses(s: str) -> bool:
 
 # Directives that tools read from comments.
 _DIRECTIVE = re.compile(
-    r"(?:noqa|type:\s*ignore|type:|pylint:|pyright:|mypy:|ruff:|flake8:|fmt:|yapf:|isort:|black:|pragma:|nosec|noinspection|pytype:|pyre-|"
-    r"cython:|coding[:=]|-\*-|codespell:|spellchecker:|cspell:|lint:|bandit:|doctest:|nopep8|no[- ]?cover|skipcq|sourcery|NOLINT|region\b|endregion\b|!)",
-    re.I,
+    r"(?i:noqa|nosec|nopep8|skipcq)\b|NOLINT|(?i:no[- ]?cover)\s*$|pragma:\s*\w|-\*-|noinspection\s+[A-Z]\w+"
+    r"|(?:vim?:\s*\S*\s*)?(?:file)?(?:en)?coding[:=]\s*[-\w.]+\s*$|pyre-(?:ignore|fixme|strict|unsafe)\b|sourcery skip\b"
+    r"|type:\s*(?:ignore\b|\([^)]*\)\s*->\s*\S|[A-Za-z_][\w.]*(?:\[.*\])?\s*(?:#.*)?$)"
+    r"|(?:pylint|pyright|mypy|ruff|flake8|isort|pytype|cython|codespell|cspell|spellchecker|lint|bandit|doctest|yapf|fmt|black):\s*"
+    r"(?:(?:disable|enable|skip|ignore|noqa|words?)(?:[-_=:,\s]|$)|(?:on|off|split|strict|basic|standard|[a-z]+(?:-[a-z]+)+)\s*(?:,|#|$)|[\w-]+\s*=\s*\S|[+-][A-Z])"
 )
+_COMMENT_DIRECTIVE = re.compile(r"#(?:(?:end)?region\b|!\s*/)")  # told from prose by the sign before it
 _RULER = re.compile(r"[\W_]*")
 _DOC = r"(?:docs?|docstrings?|documentation|descriptions?|explanations?|comments?)"
 _THIS = r"(?:(?:of|for|to|in|on)\s+)?(?:this|the|that)\s+(?:function|method|class|one|routine|helper|code|thing)"
@@ -396,7 +399,7 @@ def clean_documentation(doc: str | None, origin: str | None) -> str:
     kept = []
     for line in lines:
         text = re.sub(r"^#+[:!|]?[ \t]?", "", line.strip())
-        if _RULER.fullmatch(text) or _DIRECTIVE.match(text.strip()):
+        if _RULER.fullmatch(text) or _DIRECTIVE.match(text.strip()) or _COMMENT_DIRECTIVE.match(line.strip()):
             continue
         kept.append(text)
     code = [_is_code(x) for x in kept]

@@ -1,6 +1,7 @@
 import pytest
 
-from corpusmill.llm.pysource import functions, is_trivial, parses
+from corpusmill.llm.documentation import documented
+from corpusmill.llm.pysource import clean_documentation, functions, is_trivial, parses
 
 
 @pytest.mark.parametrize(
@@ -40,3 +41,20 @@ def test_string_directly_after_a_keyword():
     source = 'def a():\n    return"("\n\ndef b(c):\n    if c in"([":\n        return"""\n    def no(): pass\n"""\n\ndef d(): pass\n'
     assert parses(source)
     assert [x.qualname for x in functions(source)] == ["a", "b", "d"]
+
+
+@pytest.mark.parametrize("line", ["# Region of the cache that is swapped out next", "# No coverage is computed for skipped rows", "# Type: kind of the value", "# Black: the colour of an empty cell"])
+def test_prose_is_no_directive(line):
+    assert clean_documentation(line, "comment above") == line[2:]
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "# noqa: E501", "# type: ignore[misc]", "# type: (int, str) -> bool", "# type: List[int]", "# pylint: disable=too-many-lines", "# mypy: allow-untyped-defs", "# fmt: off", "#region Cache",
+        "#endregion", "# pragma: no cover", "# no cover", "# isort:skip_file", "# ruff: noqa: E501", "# -*- coding: utf-8 -*-", "# coding: utf-8", "#!/usr/bin/env python", "# pyre-fixme[6]: for the parser", "# nosec B101", "# NOLINT",
+        "# pyright: basic, reportPrivateUsage=false", "# cython: language_level=3", "# doctest: +SKIP", "# noinspection PyUnusedLocal", "# sourcery skip: low-code-quality", "# cspell:ignore kiplogri",
+    ],
+)
+def test_directive_is_no_documentation(line):
+    assert clean_documentation(line, "comment above") == ""
