@@ -325,7 +325,9 @@ def functions(s: str) -> list[Function]:
 
 def parses(s: str) -> bool:
     """Whether the text is valid Python 3.  Symbol tables are cheaper than syntax trees;
-    what they refuse is parsed again, because they also refuse some texts that parse."""
+    what they refuse is parsed again, because they also refuse some texts that parse.
+    One leading byte order mark is no part of the text, as in a file."""
+    s = s.removeprefix("\ufeff")
     try:
         _symtable.symtable(s, "source", "exec")
         return True

@@ -58,3 +58,9 @@ def test_prose_is_no_directive(line):
 )
 def test_directive_is_no_documentation(line):
     assert clean_documentation(line, "comment above") == ""
+
+
+def test_byte_order_mark():
+    source = '\ufeffdef a():\n    """Gives the width of one row."""\n'
+    assert parses(source) and not parses("\ufeff" + source)
+    assert [x[0] for x in documented(source)] == ["a"]
