@@ -1,0 +1,173 @@
+"""Passages that chunks share word for word, by Rabin-Karp hashes of windows.
+
+Windows are of code points, as a passage may begin and end inside a token.  Of the windows of
+ANCHOR characters, those with the least hash among their neighbours are kept, so that any two
+equal passages of LEAST characters keep an equal one; chunks that keep one in common are then
+compared by all their windows of LEAST characters.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LEAST, ANCHOR = 200, 100
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Characters that are hashed at once.
+_SLAB = 1 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1) modulo 2**64."""
+    if len(_powers.get(base, ())) < n:
+        steps = np.full(max(n, _SLAB), base, dtype=np.uint64)
+        steps[0] = 1
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:n]
+
+
+def window_hashes(text: str, width: int) -> np.ndarray:
+    """The hash of each window of `width` code points."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = len(codes)
+    if n < width:
+        return np.zeros(0, dtype=np.uint64)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((codes + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
+    h = (sums[width:] - sums[:-width]) * _power(_INVERSE, n - width + 1)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best of each `width` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = best(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def anchors(texts: list[str]) -> list[np.ndarray]:
+    """The distinct hashes that each text keeps."""
+    width = LEAST - ANCHOR + 1
+    lengths = np.array([len(x) for x in texts])
+    ends = np.cumsum(lengths)
+    h = window_hashes("".join(texts), ANCHOR)
+    if len(h) < width:
+        return [np.zeros(0, dtype=np.uint64)] * len(texts)
+    least = _sliding(h, width, np.minimum)
+    owner = np.repeat(np.arange(len(texts)), lengths)[: len(least)]
+    least[np.arange(len(least)) + LEAST > ends[owner]] = 0  # windows across two texts
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    kept = _sliding(np.concatenate([edge, least, edge]), width, np.maximum)[: len(h)] == h
+    at = np.flatnonzero(kept)
+    cuts = np.searchsorted(at, ends[:-1])
+    return [np.unique(h[x]) for x in np.split(at, cuts)]
+
+
+def shared_spans(a: str, b: str, hashes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The parts of a that lie in passages of at least LEAST characters which b has too, and those of b."""
+    if a == b and len(a) >= LEAST:
+        return [(0, len(a))], [(0, len(b))]
+    ha, hb = hashes or (window_hashes(a, LEAST), window_hashes(b, LEAST))
+    both = np.intersect1d(ha, hb)
+    if not len(both):
+        return [], []
+    at_a, at_b = np.flatnonzero(np.isin(ha, both)), np.flatnonzero(np.isin(hb, both))
+    in_a, in_b = ({x[i : i + LEAST] for i in at.tolist()} for x, at in ((a, at_a), (b, at_b)))  # equal hashes aren't proof
+    return tuple(_union([i for i in at.tolist() if x[i : i + LEAST] in other]) for x, at, other in ((a, at_a, in_b), (b, at_b, in_a)))
+
+
+def _union(starts: Iterable[int]) -> list[tuple[int, int]]:
+    spans: list[tuple[int, int]] = []
+    for i in starts:
+        if spans and i <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], i + LEAST)
+        else:
+            spans.append((i, i + LEAST))
+    return spans
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        kept = anchors(texts)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), pa.array(np.repeat(np.array(ids, dtype=np.int64), [len(x) for x in kept]))], names=["anchor", "chunk_id"])
+
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for i, text in zip(batch["chunk_id"].to_pylist(), batch["content"].to_pylist()):
+            ids.append(i)
+            texts.append(text)
+            size += len(text)
+            if size >= _SLAB:
+                yield rows(ids, texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield rows(ids, texts)
+
+
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        known: dict[int, np.ndarray] = {}
+        for x in batch.to_pylist():
+            a, b = x["content_a"], x["content_b"]
+            hashes = None
+            if a != b:
+                for i, text in ((x["chunk_id_a"], a), (x["chunk_id_b"], b)):
+                    if i not in known:
+                        if len(known) > 500:
+                            known.clear()
+                        known[i] = window_hashes(text, LEAST)
+                ha = known.get(x["chunk_id_a"])
+                hashes = (window_hashes(a, LEAST) if ha is None else ha, known[x["chunk_id_b"]])
+            spans = shared_spans(a, b, hashes)
+            if spans[0]:
+                out.append({"chunk_id_a": x["chunk_id_a"], "chunk_id_b": x["chunk_id_b"], "length_a": len(a), "length_b": len(b)} | {k: [{"first": p, "last": q} for p, q in s] for k, s in zip(("spans_a", "spans_b"), spans)})
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("chunk_id_a", pa.int64()), ("chunk_id_b", pa.int64()), ("length_a", pa.int32()), ("length_b", pa.int32()), ("spans_a", _SPANS), ("spans_b", _SPANS)]))
+
+
+def shared_passages(chunks: DataFrame) -> DataFrame:
+    """chunk_id_a < chunk_id_b, length_a, length_b, spans_a, spans_b: the pairs of chunks with at least LEAST characters in common."""
+    texts = chunks.select("chunk_id", "content").where(F.length("content") >= LEAST)
+    kept = texts.mapInArrow(_anchor_rows, "anchor bigint, chunk_id bigint")
+    a, b = kept.withColumnRenamed("chunk_id", "chunk_id_a"), kept.withColumnRenamed("chunk_id", "chunk_id_b")
+    pairs = a.join(b, "anchor").where("chunk_id_a < chunk_id_b").select("chunk_id_a", "chunk_id_b").distinct()
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("chunk_id").alias(f"chunk_id_{x}"), F.col("content").alias(f"content_{x}")), f"chunk_id_{x}")
+    spans = "array<struct<first:int,last:int>>"
+    return pairs.select("chunk_id_a", "chunk_id_b", "content_a", "content_b").mapInArrow(_verified, f"chunk_id_a bigint, chunk_id_b bigint, length_a int, length_b int, spans_a {spans}, spans_b {spans}")
+
+
+def _covered(spans: list) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(tuple(x) for x in spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
+
+
+def reappearances(chunks: DataFrame) -> DataFrame:
+    """chunk_id, spans, partners, share: for each chunk the parts found in other chunks, those chunks and the share of its content."""
+    pairs = shared_passages(chunks)
+    sides = [pairs.select(F.col(f"chunk_id_{x}").alias("chunk_id"), F.col(f"chunk_id_{y}").alias("partner"), F.col(f"length_{x}").alias("length"), F.col(f"spans_{x}").alias("spans")) for x, y in ("ab", "ba")]
+    of = sides[0].union(sides[1]).groupBy("chunk_id").agg(F.max("length").alias("length"), F.array_sort(F.collect_set("partner")).alias("partners"), F.flatten(F.collect_set("spans")).alias("spans"))
+    covered = F.udf(_covered, "array<struct<first:int,last:int>>")
+    of = of.withColumn("spans", covered("spans"))
+    share = F.aggregate("spans", F.lit(0), lambda n, x: n + x["last"] - x["first"]) / F.col("length")
+    return of.select("chunk_id", "spans", "partners", share.alias("share"))
