@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.contamination import contaminated
 from corpusmill.llm.documentation import documented_names
+from corpusmill.llm.encoding import restored
 from corpusmill.llm.splitting import split_chunks
 from corpusmill.llm.topk import best_chunks
 from corpusmill.llm.windows import shared_passages
@@ -34,7 +35,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restored(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_found, p8_found)}
 
 SQL: dict[str, str] = {
     "p2_found": """
