@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.llm.contamination import contaminated
 from corpusmill.llm.documentation import documented_names
 from corpusmill.llm.encoding import restored
+from corpusmill.llm.origin import not_handwritten
+from corpusmill.llm.packing import packed
 from corpusmill.llm.splitting import split_chunks
 from corpusmill.llm.topk import best_chunks
 from corpusmill.llm.windows import shared_passages
@@ -23,6 +25,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece = 1").select("chunk_id").distinct()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_handwritten(spark.read.parquet(f"{sf_dir}/files.parquet"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_chunks(spark.read.parquet(f"{sf_dir}/search_results.parquet")).select("question_id", "chunk_id")
 
@@ -31,6 +37,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(spark.read.parquet(f"{sf_dir}/chunks.parquet")).select("chunk_id_a", "chunk_id_b")
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/containers.parquet"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -39,7 +49,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_found, p8_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_packed, p7_found, p8_found)}
 
 SQL: dict[str, str] = {
     "p2_found": """
