@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from corpusmill.errors import IndexingError
 from corpusmill.functions import text as T
+from corpusmill.storage import cut, spread
 
 K1, B = 1.5, 0.75
 #: Places that scores are rounded to before they are compared, as sums of doubles depend on their order.
@@ -28,14 +29,14 @@ _SOURCE = ("file_path", "first_character_index", "last_character_index")
 def tokens(chunks: DataFrame, stop_words: bool = False) -> DataFrame:
     """chunk_id, position, term: the words of each chunk in order, stop words only if asked for."""
     words = T.words(F.col("content"))
-    rows = chunks.select("chunk_id", F.posexplode(words).alias("position", "term"))
+    rows = spread(chunks.select("chunk_id", "content")).select("chunk_id", F.posexplode(words).alias("position", "term"))
     return rows if stop_words else rows.where(~F.col("term").isin(*T.STOP_WORDS))
 
 
 def term_frequencies(chunks: DataFrame) -> DataFrame:
     """chunk_id, length, term, tf; `length` is the chunk's number of words without stop words."""
-    held = chunks.where("content is not null").select("chunk_id", T.terms(F.col("content")).alias("terms"))
-    rows = held.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    held = spread(chunks.where("content is not null").select("chunk_id", "content")).select("chunk_id", T.terms(F.col("content")).alias("terms"))
+    rows = held.select("chunk_id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).where("term is not null")  # explode would filter first, by finding the terms once more
     return rows.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -47,23 +48,25 @@ def document_frequencies(frequencies: DataFrame) -> DataFrame:
 def length_statistics(chunks: DataFrame) -> DataFrame:
     """n_chunks, n_tokens, avgdl: one row; chunks without a word count, too."""
     length = F.size(T.terms(F.col("content")))
-    return chunks.where("content is not null").agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(length), F.lit(0)).alias("n_tokens"), F.avg(length).alias("avgdl"))
+    return spread(chunks.where("content is not null").select("content")).agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(length), F.lit(0)).alias("n_tokens"), F.avg(length).alias("avgdl"))
 
 
 def posting_scores(chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """chunk_id, term, score of every term in every chunk."""
-    tf = term_frequencies(chunks)
+    tf = cut(term_frequencies(chunks))  # used three times
+    stats = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")).crossJoin(chunks.where("content is not null").agg(F.count("*").alias("n_chunks")))  # a row each
+    stats = stats.select("n_chunks", (F.col("n_tokens") / F.col("n_chunks")).alias("avgdl"))
     n, dl = F.col("n_chunks"), F.col("length")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
-    joined = tf.join(document_frequencies(tf), "term").crossJoin(F.broadcast(length_statistics(chunks)))  # one row of statistics
+    joined = tf.join(document_frequencies(tf), "term").crossJoin(F.broadcast(stats))
     return joined.select("chunk_id", "term", score.alias("score"))
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
     """question_id, term, times: how often each question has a term; a question that is given again counts once."""
     rows = questions.select("question_id", "question").where("question_id is not null and question is not null").dropDuplicates(["question_id"])
-    return rows.select("question_id", F.explode(T.terms(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
+    return rows.select("question_id", F.explode_outer(T.terms(F.col("question"))).alias("term")).where("term is not null").groupBy("question_id", "term").agg(F.count("*").alias("times"))
 
 
 def top_k(scores: DataFrame, group: str, k: int, score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -77,11 +80,22 @@ def top_k(scores: DataFrame, group: str, k: int, score: str = "score", tie: str
 def ranked(postings: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """question_id, rank, chunk_id, score: each question's k best chunks with a positive score.
 
-    Terms that no chunk has give nothing, a term that a question repeats counts as often.
+    Terms that no chunk has give nothing, a term that a question repeats counts as often.  Only
+    postings of the questions' terms are moved, to the place of their chunk; where the questions
+    are small enough for Spark to broadcast them, scores are summed, and all but the k best of
+    each place dropped, without moving them again.
     """
-    hits = postings.join(query_terms(questions), "term")
-    scores = hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("score") * F.col("times")), PLACES).alias("score"))
-    return top_k(scores.where("score > 0"), "question_id", k).select("question_id", "rank", "chunk_id", "score")
+    asked = cut(questions.select("question_id", "question").where("question_id is not null and question is not null").dropDuplicates(["question_id"]).withColumn("number", F.monotonically_increasing_id()))
+    terms = query_terms(asked.select(F.col("number").alias("question_id"), "question")).withColumnRenamed("question_id", "number")  # numbers are shorter to hash and sort
+    held = postings.join(terms.select("term").distinct(), "term", "left_semi").repartition("chunk_id")
+    hits = held.join(terms, "term")
+    scores = hits.groupBy("number", "chunk_id").agg(rounded(F.sum(F.col("score") * F.col("times"))).alias("score"))
+    return top_k(scores.where("score > 0"), "number", k).join(asked.select("number", "question_id"), "number").select("question_id", "rank", "chunk_id", "score")
+
+
+def rounded(score: Column) -> Column:
+    """The score to PLACES, without the decimals that round() goes through."""
+    return F.rint(score * 10**PLACES) / 10**PLACES
 
 
 def located(results: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.errors import ChunkError
 from corpusmill.operators import cutting as C
+from corpusmill.storage import spread
 
 LIMIT = 2000
 _ROW = "file_path string, ext string, position int, first_character_index int, last_character_index int, content string, kind string, message string"
@@ -62,7 +63,7 @@ def cut_files(files: DataFrame, limit: int = LIMIT, overlap: int | None = None,
                 out += [(path, ext, None, None, None, None, *x) for x in notes]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=names)
 
-    return files.where(F.col("content").isNotNull() & F.col("ext").isin("txt", "md", "py")).select("file_path", "ext", "content").mapInArrow(rows, _ROW)
+    return spread(files.where(F.col("content").isNotNull() & F.col("ext").isin("txt", "md", "py")).select("file_path", "ext", "content")).mapInArrow(rows, _ROW)
 
 
 def chunk_files(files: DataFrame, limit: int = LIMIT, overlap: int | None = None, byte_columns: bool = False) -> DataFrame:
@@ -98,7 +99,7 @@ def spans(files: DataFrame, ext: str, of: str, limit: int = LIMIT) -> DataFrame:
             out = [(p, *x) for p, t in zip(batch["file_path"].to_pylist(), batch["content"].to_pylist()) for x in make(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int32()))], names=["file_path", "first", "last"])
 
-    return files.where((F.col("ext") == ext) & F.col("content").isNotNull()).select("file_path", "content").mapInArrow(rows, "file_path string, first int, last int").distinct()
+    return spread(files.where((F.col("ext") == ext) & F.col("content").isNotNull()).select("file_path", "content")).mapInArrow(rows, "file_path string, first int, last int").distinct()
 
 
 def _parsed(text: str) -> list[C.Span]:

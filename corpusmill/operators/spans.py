@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.storage import spread
 
 
 def _lines(files: DataFrame) -> DataFrame:
     """row, file_path, line, first, last, full_last, blank of every line; `row` tells files of one path apart."""
-    held = files.where("content is not null").select(F.monotonically_increasing_id().alias("row"), "file_path", "content")
+    held = spread(files.where("content is not null").select("file_path", "content")).select(F.monotonically_increasing_id().alias("row"), "file_path", "content")
     pieces = held.select("row", "file_path", F.posexplode(T.lines(F.col("content"))).alias("line", "piece"))
     piece = F.col("piece")
     sizes = pieces.select("row", "file_path", "line", F.length(piece).alias("size"), F.length(T.without_end(piece)).alias("kept"), T.is_blank(piece).alias("blank"))
@@ -40,7 +41,7 @@ def paragraph_spans(files: DataFrame) -> DataFrame:
 
 def line_marks(files: DataFrame) -> DataFrame:
     """file_path, line, fence_char, fence_len, header: what each line could be in Markdown, wherever it stands."""
-    rows = files.where("content is not null").select("file_path", F.posexplode(T.lines(F.col("content"))).alias("line", "piece"))
+    rows = spread(files.where("content is not null").select("file_path", "content")).select("file_path", F.posexplode(T.lines(F.col("content"))).alias("line", "piece"))
     line = T.without_end(F.col("piece"))
     return rows.select("file_path", "line", T.fence(line).alias("fence"), T.is_header(line).alias("header")).select("file_path", "line", "fence.fence_char", "fence.fence_len", "header").distinct()
 

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that all executors share."""
+"""How tables are laid out: partitions, and intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -18,3 +18,11 @@ def cut(rows: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return rows.checkpoint()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, over all cores where they are read in fewer tasks than there are cores, as from one small file."""
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
