@@ -4,21 +4,20 @@ It is a state machine over the tokens that can change the lexical state:
 string literals (with prefixes, triple quotes and nested f-string fields),
 comments, brackets, line joins and line ends.  Brackets are matched to tell
 logical lines from physical ones; indentation of logical lines delimits
-definitions.  No syntax tree is built.
+definitions.  Syntax trees are only built to tell whether a text is Python and
+whether a comment is commented-out code.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+import symtable
+import textwrap
+import unicodedata
 import warnings
 from typing import NamedTuple
 
-import _symtable
-
-warnings.simplefilter("ignore", SyntaxWarning)
-warnings.simplefilter("ignore", DeprecationWarning)
-
 _TOKEN = re.compile(
     r"""
     \#[^\n\r]*
@@ -39,6 +38,7 @@ _TOKEN = re.compile(
 )
 _DEF = re.compile(r"(?:(?P<def>(?:async(?:[ \t\f]|\\\r?\n)+)?def)|class)(?:[ \t\f]|\\\r?\n)+(?P<name>\w+)")
 _INDENT = re.compile(r"[ \t\f]*")
+_LINE = re.compile(r"[^\r\n]*")
 _STRING = re.compile(
     r"""(?P<prefix>[A-Za-z]{0,2})(?:
         \"\"\"[^"\\]*(?:(?:\\.|"(?!""))[^"\\]*)*\"\"\"
@@ -75,13 +75,16 @@ class _Scope:
         self.last = first
 
 
-def _skip_fstring(s: str, pos: int, quote: str) -> int:
+def _skip_fstring(s: str, pos: int, quote: str, raw: bool = False) -> int:
     """End of the f-string whose opening quote ends at pos; len(s) if unterminated."""
     n, single = len(s), quote[0]
     while pos < n:
         c = s[pos]
         if c == "\\":
-            pos += 2
+            if not raw and s.startswith("N{", pos + 1):
+                pos = s.find("}", pos) + 1 or n
+            else:  # a brace keeps its meaning
+                pos += 1 if s[pos + 1 : pos + 2] in ("{", "}") else 2
         elif c == single and s.startswith(quote, pos):
             return pos + len(quote)
         elif c == "{":
@@ -105,10 +108,12 @@ def _skip_field(s: str, pos: int) -> int:
                 start -= 1
             quote = s[pos : pos + 3] if s.startswith(c * 3, pos) else c
             if any(x in "fFtT" for x in s[start:pos]):
-                pos = _skip_fstring(s, pos + len(quote), quote)
+                pos = _skip_fstring(s, pos + len(quote), quote, any(x in "rR" for x in s[start:pos]))
             else:
                 m = _STRING.match(s, pos)
                 pos = m.end() if m else pos + 1
+        elif c == "#":
+            pos = _LINE.match(s, pos).end()
         elif c in "([{":
             depth += 1
             pos += 1
@@ -170,30 +175,12 @@ def _docstring(s: str, pos: int) -> str | None:
         return None
 
 
-def _comments_above(s: str, line_start: int) -> list[str]:
-    """Comment lines directly above the physical line that starts at line_start."""
-    out: list[str] = []
-    end = line_start
-    while end > 0:
-        stop = end - 1
-        if stop > 0 and s[stop] == "\n" and s[stop - 1] == "\r":
-            stop -= 1
-        start = max(s.rfind("\n", 0, stop), s.rfind("\r", 0, stop)) + 1
-        line = s[start:stop].strip(" \t\f")
-        if not line.startswith("#"):
-            break
-        out.append(line)
-        end = start
-    out.reverse()
-    return out
-
-
 def _comments_below(s: str, pos: int) -> list[str]:
     """The block of comment lines that opens the body after the header line ending at pos."""
     out: list[str] = []
     n = len(s)
     while pos < n:
-        stop = min((x for x in (s.find("\n", pos), s.find("\r", pos)) if x >= 0), default=n)
+        stop = _LINE.match(s, pos).end()
         line = s[pos:stop].strip(" \t\f")
         if line.startswith("#"):
             out.append(line)
@@ -218,7 +205,8 @@ def functions(s: str) -> list[Function]:
     in_line = False  # inside a logical line
     header: _Scope | None = None  # a definition whose colon has not come yet
     decorators = -1  # offset of the first of the decorators just seen
-    decorators_line = -1
+    notes: list[str] = []  # the comment lines directly above
+    decorators_notes: list[str] = []
     line_end = 0
     order = 0
 
@@ -247,12 +235,16 @@ def functions(s: str) -> list[Function]:
             c = s[pos]
             if c in "\r\n":
                 pos += 2 if s.startswith("\r\n", pos) else 1
+                notes = []
                 continue
             if c == "#":
-                m = search(s, pos)
+                m = _LINE.match(s, pos)
+                notes.append(m[0].rstrip(" \t\f"))
                 pos = m.end()
+                pos += 2 if s.startswith("\r\n", pos) else 1
                 continue
             in_line = True
+            above, notes = notes, []
             lead = s[start:pos]
             indent = len(lead.rpartition("\f")[2].expandtabs(8)) if lead else 0
             while stack and stack[-1].indent >= indent:
@@ -263,19 +255,18 @@ def functions(s: str) -> list[Function]:
                 body(stack[-1], pos)
             if c == "@":
                 if decorators < 0:
-                    decorators, decorators_line = pos, start
+                    decorators, decorators_notes = pos, above
             else:
                 m = _DEF.match(s, pos) if c in "adc" else None
                 if m:
                     is_def = m["def"] is not None
-                    scope = _Scope(indent, m["name"], is_def, decorators if decorators >= 0 else pos, start, order)
+                    name = m["name"] if m["name"].isascii() else unicodedata.normalize("NFKC", m["name"])
+                    scope = _Scope(indent, name, is_def, decorators if decorators >= 0 else pos, start, order)
                     order += 1
                     if is_def:
-                        notes = _comments_above(s, start)
-                        if not notes and decorators >= 0:
-                            notes = _comments_above(s, decorators_line)
-                        if notes:
-                            scope.doc, scope.origin = "\n".join(notes), "comment above"
+                        held = above or (decorators_notes if decorators >= 0 else [])
+                        if held:
+                            scope.doc, scope.origin = "\n".join(held), "comment above"
                     header = scope
                     pos = m.end()
                 decorators = -1
@@ -294,9 +285,9 @@ def functions(s: str) -> list[Function]:
                     scope = stack[-1]
                     scope.header_end = line_end
                     if scope.is_def and scope.doc is None:
-                        notes = _comments_below(s, pos)
-                        if notes:
-                            scope.doc, scope.origin = "\n".join(notes), "comment below"
+                        held = _comments_below(s, pos)
+                        if held:
+                            scope.doc, scope.origin = "\n".join(held), "comment below"
         elif c in "([{":
             depth += 1
         elif c in ")]}":
@@ -312,7 +303,8 @@ def functions(s: str) -> list[Function]:
                 else:
                     scope.header_end = -2
         elif m["f"] is not None:
-            pos = _skip_fstring(s, pos, m["f"].lstrip("rRfFtT"))
+            quote = m["f"].lstrip("rRfFtT")
+            pos = _skip_fstring(s, pos, quote, len(m["f"]) - len(quote) == 2)
     if in_line:
         line_end = len(s.rstrip("\r\n"))
     while stack:
@@ -326,18 +318,26 @@ def functions(s: str) -> list[Function]:
 def parses(s: str) -> bool:
     """Whether the text is valid Python 3.  Symbol tables are cheaper than syntax trees;
     what they refuse is parsed again, because they also refuse some texts that parse.
-    One leading byte order mark is no part of the text, as in a file."""
+    One leading byte order mark is no part of the text, as in a file.  A text nested more deeply
+    than Python's own parser goes doesn't parse."""
     s = s.removeprefix("\ufeff")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            symtable.symtable(s, "source", "exec")
+            return True
+        except (SyntaxError, ValueError, RecursionError):
+            return _tree(s) is not None
+
+
+def _tree(s: str) -> ast.Module | None:
+    """The syntax tree, if the text parses."""
     try:
-        _symtable.symtable(s, "source", "exec")
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        pass
-    try:
-        ast.parse(s)
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return ast.parse(s)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
 
 
 # Directives that tools read from comments.
@@ -363,27 +363,25 @@ _PLACEHOLDER = re.compile(
     re.I | re.S,
 )
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+_UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u0e00-\u0e7f]")  # scripts without blanks: two characters count as a word
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_]+")
 _ARTICLES = {"a", "an", "the"}
 _CODE_SIGN = re.compile(r"[=()\[\]{}:.@]|^\s*(?:return|pass|raise|import|from|break|continue|del|assert|yield|if|for|while|else|try)\b")
-_KEYWORD_LINE = re.compile(r"\s*(?:(?:if|elif|for|while|with|def|class|try|except|else|finally)\b.*:\s*|(?:return|raise|yield|assert|del)\b.*[\w)\]}'\"])\s*$")
+_ABBREVIATION = re.compile(r"(?i)^\s*(?:e\.\s?g|i\.\s?e|cf|vs|etc|approx|resp)\.|\w\. +\w")
 
 
 def _is_code(line: str) -> bool:
     """Whether a comment's text is a statement: it parses, and it isn't mere words."""
     text = line.strip()
-    if not text or not _CODE_SIGN.search(text):
+    if not text or not _CODE_SIGN.search(text) or _ABBREVIATION.search(text):
         return False
     if re.fullmatch(r"\w+:\s*\S.*", text) and not re.search(r"[()=\[\]]", text):
         return False  # `Note: ...` parses as an annotation
     if re.fullmatch(r"(?:\w+\.)", text):
         return False
     for candidate in (text, text + "\n    pass" if text.endswith(":") else "", "try:\n    pass\n" + text + "\n    pass" if text.startswith("except") else "", "if x:\n    pass\n" + text + "\n    pass" if text.startswith(("else", "elif")) else ""):
-        if candidate:
-            try:
-                tree = ast.parse(candidate)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                continue
+        tree = _tree(candidate) if candidate else None
+        if tree is not None:
             return bool(tree.body) and not all(
                 isinstance(x, ast.Expr) and isinstance(x.value, (ast.Name, ast.Constant, ast.Tuple, ast.UnaryOp, ast.BinOp, ast.Compare)) for x in tree.body
             )
@@ -409,11 +407,8 @@ def clean_documentation(doc: str | None, origin: str | None) -> str:
         return ""
     whole = "\n".join(kept)
     if any(code):
-        try:  # a block of code whose single lines don't all parse
-            ast.parse(re.sub(r"(?m)^", " ", whole).replace("\n ", "\n") if False else __import__("textwrap").dedent(whole))
-            return ""
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
+        if _tree(textwrap.dedent(whole)) is not None:
+            return ""  # a block of code whose single lines don't all parse
         kept = [x for x, is_code in zip(kept, code) if not is_code]
     return "\n".join(x.strip() for x in kept).strip()
 
@@ -421,7 +416,7 @@ def clean_documentation(doc: str | None, origin: str | None) -> str:
 def is_trivial(name: str, text: str) -> bool:
     """Whether cleaned documentation says nothing: too short, a placeholder, or the name again."""
     words = [w.lower() for w in _WORD.findall(text)]
-    if len(words) < 4:
+    if sum(max(1, len("".join(_UNSPACED.findall(w))) // 2) for w in words) < 4:
         return True
     if _PLACEHOLDER.fullmatch(text):
         return True
