@@ -1,8 +1,10 @@
 """The best chunks of each question, by a merge of sorted runs with a loser tree.
 
-Each partition is turned into one sorted run per question, cut after the question's k best
+Each partition is turned into sorted runs, one per question, cut after the question's k best
 chunks: a chunk among the k best of all is among the k best of the partition that holds its
-highest score.  The runs of a question are then merged by a loser tree.
+highest score.  The runs of FAN_IN neighbouring partitions make a bucket, whose runs a loser tree
+merges into one for each question; another one merges the buckets' runs.  Each merge goes on to
+the next question after k chunks, so that no task ever holds all candidates of one question.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows that are sorted at once; a larger partition gives several runs.
 RUN_ROWS = 1 << 20
+#: Partitions whose runs make a bucket.
+FAN_IN = 64
 _END = (float("inf"), float("inf"))
 Key = tuple[float, float]
 
@@ -113,29 +117,34 @@ def merge_runs(runs: Sequence[tuple[Sequence[float], Sequence[int]]], k: int) ->
     return best
 
 
+_RUN = "question_id string, k bigint, scores array<double>, chunk_ids array<bigint>"
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        questions, chunks, scores, ranks = [], [], [], []
+        out = []
         for row in batch.to_pylist():
             best = merge_runs([(x["scores"], x["chunk_ids"]) for x in row["runs"]], row["k"])
-            questions += [row["question_id"]] * len(best)
-            chunks += [c for c, _ in best]
-            scores += [s for _, s in best]
-            ranks += range(1, len(best) + 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(questions, pa.string()), pa.array(chunks, pa.int64()), pa.array(scores, pa.float64()), pa.array(ranks, pa.int32())],
-            names=["question_id", "chunk_id", "score", "rank"],
-        )
+            out.append((row["question_id"], row["k"], [s for _, s in best], [c for c, _ in best]))
+        kinds = {"question_id": pa.string(), "k": pa.int64(), "scores": pa.list_(pa.float64()), "chunk_ids": pa.list_(pa.int64())}
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def _merge(runs: DataFrame, *keys: str) -> DataFrame:
+    """One run for each question and other key."""
+    of = runs.groupBy("question_id", *keys).agg(F.max("k").alias("k"), F.collect_list(F.struct("scores", "chunk_ids")).alias("runs"))
+    return of.select("question_id", "k", "runs").mapInArrow(_merged, _RUN)
 
 
 def best_chunks(results: DataFrame) -> DataFrame:
     """question_id, chunk_id, score, rank: each question's k best chunks, each with its highest score.
 
     Equal scores go to the smaller chunk_id.  Rows without question, chunk, score (null or
-    NaN) or k don't count.
+    NaN) or k don't count; a k below 1 gives nothing, and of different ones the largest holds.
     """
     rows = results.select("question_id", F.col("chunk_id").cast("bigint"), F.col("score").cast("double"), F.col("k").cast("bigint"))
     rows = rows.where("question_id is not null and chunk_id is not null and score is not null and not isnan(score) and k is not null")
-    runs = rows.mapInArrow(_sorted_runs, "question_id string, k bigint, scores array<double>, chunk_ids array<bigint>")
-    of = runs.groupBy("question_id").agg(F.max("k").alias("k"), F.collect_list(F.struct("scores", "chunk_ids")).alias("runs"))
-    return of.mapInArrow(_merged, "question_id string, chunk_id bigint, score double, rank int")
+    runs = rows.mapInArrow(_sorted_runs, _RUN).withColumn("bucket", F.floor(F.spark_partition_id() / FAN_IN))
+    buckets = _merge(runs, "bucket")
+    best = _merge(buckets)
+    return best.select("question_id", F.posexplode(F.arrays_zip("chunk_ids", "scores")).alias("at", "x")).select("question_id", F.col("x.chunk_ids").alias("chunk_id"), F.col("x.scores").alias("score"), (F.col("at") + 1).alias("rank"))

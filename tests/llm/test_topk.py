@@ -28,5 +28,17 @@ def test_best_chunks_are_those_of_a_plain_sort(spark):
     assert sorted((x.question_id, x.chunk_id, x["rank"]) for x in got) == sorted(expected)
 
 
+def test_many_partitions_make_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr("corpusmill.llm.topk.FAN_IN", 2)
+    rows = [(i, "q" if i % 3 else "r", i % 40, float(i % 17), 5) for i in range(600)]
+    got = best_chunks(spark.createDataFrame(rows, SCHEMA).repartition(9)).where("question_id = 'q'").orderBy("rank").collect()
+    best = {}
+    for _, q, c, s, _ in rows:
+        if q == "q":
+            best[c] = max(s, best.get(c, s))
+    assert [(x.chunk_id, x.score) for x in got] == [(c, s) for c, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    assert best_chunks(spark.createDataFrame([(1, "q", 1, 1.0, 0), (2, "r", 1, 1.0, None)], SCHEMA)).count() == 0
+
+
 def test_no_rows_give_no_chunks(spark):
     assert best_chunks(spark.createDataFrame([], SCHEMA)).count() == 0
