@@ -8,7 +8,12 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from corpusmill.storage import spread
+
+#: Characters of items that are searched for at once.
+BLOCK = 50_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -58,11 +63,23 @@ class Passages:
 def contaminated(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
     """doc_id, item_id: the documents that hold at least `least` consecutive words of an item.
 
-    The items are a fixed small table and go to every executor.
+    Items are searched for in blocks of at most BLOCK characters, each in one pass over the
+    documents, so that what goes to every executor is bounded.  Rows without an id or text, and
+    items of fewer words, give nothing; other columns are ignored.
     """
-    spark = documents.sparkSession
-    rows = [(x.item_id, x.text) for x in items.select("item_id", "text").collect() if x.item_id is not None]
-    passages = spark.sparkContext.broadcast(Passages(rows, least))
+    held = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    size = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK) or 1
+    found = None
+    for block in range(blocks):
+        part = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        rows = _searched(documents, [(x.item_id, x.text) for x in part.collect()], least)  # about BLOCK characters
+        found = rows if found is None else found.unionByName(rows)
+    return found.distinct()
+
+
+def _searched(documents: DataFrame, items: list[tuple[int, str]], least: int) -> DataFrame:
+    passages = documents.sparkSession.sparkContext.broadcast(Passages(items, least))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = passages.value
@@ -70,5 +87,5 @@ def contaminated(documents: DataFrame, items: DataFrame, least: int = 12) -> Dat
             hits = [(d, i) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for i in sorted(tables.found(t))]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.int64())], names=["doc_id", "item_id"])
 
-    texts = documents.select("doc_id", "text").where("text is not null")
-    return texts.mapInArrow(search, "doc_id bigint, item_id bigint").distinct()
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    return spread(texts).mapInArrow(search, "doc_id bigint, item_id bigint")
