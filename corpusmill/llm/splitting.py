@@ -57,9 +57,11 @@ def split_chunks(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     """chunk_id, piece, first, last, content: the pieces of every chunk that is longer than its run's limit.
 
     Offsets are code points within the chunk.  A limit of null is 2000, an overlap of null a
-    tenth of the limit.  A chunk without content or without a run has no limit to exceed.
+    tenth of the limit; of a run that is given twice, the smaller limit holds.  A chunk without id,
+    content or run has no piece; a repeated row gives its pieces again.
     """
     limit = F.coalesce(F.col("max_chunk_size"), F.lit(DEFAULT_LIMIT))
-    limits = runs.select("run_id", limit.alias("limit"), F.coalesce(F.col("overlap"), F.floor(limit / 10)).cast("int").alias("overlap")).dropDuplicates(["run_id"])
-    rows = chunks.select("chunk_id", "content", "run_id").join(F.broadcast(limits), "run_id").where(F.length("content") > F.col("limit"))
+    limits = runs.where("run_id is not null").select("run_id", limit.alias("limit"), F.coalesce(F.col("overlap"), F.floor(limit / 10)).cast("int").alias("overlap"))
+    limits = limits.groupBy("run_id").agg(F.min(F.struct("limit", "overlap")).alias("l")).select("run_id", "l.limit", "l.overlap")
+    rows = chunks.where("chunk_id is not null").select("chunk_id", "content", "run_id").join(limits, "run_id").where(F.length("content") > F.col("limit"))
     return rows.select("chunk_id", "content", "limit", "overlap").mapInArrow(_pieces, "chunk_id bigint, piece int, first int, last int, content string")
