@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.pysource import clean_documentation, functions, is_trivial, parses
+from corpusmill.storage import spread
 
 
 def documented(source: str) -> list[tuple[str, int, int, str]]:
@@ -39,7 +40,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sources(files: DataFrame) -> DataFrame:
-    return files.where((F.col("ext") == "py") & F.col("content").isNotNull()).select("file_path", "content")
+    return spread(files.where((F.col("ext") == "py") & F.col("content").isNotNull()).select("file_path", "content"))
 
 
 def documented_names(files: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.storage import cut
+from corpusmill.storage import cut, spread
 
 #: Labelled files that the forest learns from, at most; those with the least hash of their path.
 TRAINED_ROWS = 20_000
@@ -162,7 +162,7 @@ def described(files: DataFrame) -> DataFrame:
     notice `minified`: what a minifier would have made of it.
     """
     sources = files.where((F.col("ext") == "py") & F.col("file_path").isNotNull() & F.col("content").isNotNull()).select("file_path", "content").where(F.col("content").rlike(r"\S"))
-    rows = sources.mapInArrow(_rows, "file_path string, source bigint, notice string, features array<double>, dirs array<string>")
+    rows = spread(sources).mapInArrow(_rows, "file_path string, source bigint, notice string, features array<double>, dirs array<string>")
     return rows.dropDuplicates(["file_path", "source", "notice"])
 
 

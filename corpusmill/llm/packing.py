@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.storage import cut
+from corpusmill.storage import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a public byte-level BPE cuts texts before it merges bytes.
@@ -143,7 +143,7 @@ def items_of(documents: DataFrame, largest: int, tokenizer: str = TOKENIZER) ->
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "part", "first_token", "tokens"])
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return texts.mapInArrow(rows, _ITEMS)
+    return spread(texts).mapInArrow(rows, _ITEMS)
 
 
 def _shard(turn: int, capacities: Sequence[int]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
