@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 #: A run's limit where it has none.
 DEFAULT_LIMIT = 2000
 #: Natural boundaries, the best first; a piece may end where a match ends.
-_BOUNDARIES = tuple(re.compile(x) for x in (r"(?:\r\n|\r|\n)[ \t\f]*(?:\r\n|\r|\n)", r"\r\n|\r|\n|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", r"(?<=[.!?;:。！？])\s", r"\s"))
+_BOUNDARIES = tuple(re.compile(x) for x in (r"(?:\r\n|\r|\n)(?=[ \t]*(?:@\w|(?:async[ \t]+)?def[ \t]|class[ \t])|#{1,6}[ \t])", r"(?:\r\n|\r|\n)[ \t\f]*(?:\r\n|\r|\n)", r"\r\n|\r|\n|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", r"(?<=[.!?;:。！？])\s", r"\s"))
+
+#: How far a boundary may look beyond the piece that it ends.
+_AHEAD = 100
 
 
 def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -33,7 +36,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         low, high = max(start + overlap + 1, start + (target - start) // 2), start + limit
         end = target
         for boundary in _BOUNDARIES:
-            at = [m.end() for m in boundary.finditer(text, max(low - 2, start), min(high + 1, n)) if low <= m.end() <= high]
+            at = [m.end() for m in boundary.finditer(text, max(low - 2, start), min(high + _AHEAD, n)) if low <= m.end() <= high]
             if at:
                 end = min(at, key=lambda x: (abs(x - target), x))
                 break

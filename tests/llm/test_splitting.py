@@ -23,6 +23,8 @@ def test_pieces_keep_limit_overlap_and_text():
         ("a" * 11, 10, 0, ["a" * 6, "a" * 5]),
         ("one two\n\nthree four", 15, 0, ["one two\n\n", "three four"]),
         ("one two three four", 12, 0, ["one two ", "three four"]),
+        ("x = 1\n\ny = 2\ndef f():\n    z", 24, 0, ["x = 1\n\ny = 2\n", "def f():\n    z"]),
+        ("# a\n\ntext\n## b\ntext", 16, 0, ["# a\n\ntext\n", "## b\ntext"]),
         ("abcdefghij", 6, 2, ["abcdef", "efghij"]),
     ],
 )
