@@ -61,4 +61,14 @@ SQL: dict[str, str] = {
                 where question_id is not null and chunk_id is not null and score is not null and not isnan(score)
                 group by question_id, chunk_id))
         where place <= k""",
+    "p5_found": """
+        with windows as (select distinct chunk_id, substr(content, i, 200) as passage from (select chunk_id, content, unnest(range(1, length(content) - 198)) as i from chunks where content is not null))
+        select distinct a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b from windows a join windows b on a.passage = b.passage and a.chunk_id < b.chunk_id""",
+    "p7_found": r"""
+        with words as (
+            select 'doc' as kind, doc_id as id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from documents where doc_id is not null
+            union all
+            select 'item', item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) from benchmark where item_id is not null),
+        windows as (select distinct kind, id, array_to_string(w[i:i + 11], ' ') as passage from (select kind, id, w, unnest(range(1, len(w) - 10)) as i from words))
+        select distinct d.id as doc_id, i.id as item_id from windows d join windows i using (passage) where d.kind = 'doc' and i.kind = 'item'""",
 }

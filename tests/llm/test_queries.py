@@ -15,6 +15,6 @@ def test_query_gives_distinct_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_gives_what_its_sql_gives(spark, name):
     db = duckdb.connect()
-    for table in ("chunks", "index_runs", "search_results"):
+    for table in ("chunks", "index_runs", "search_results", "documents", "benchmark"):
         db.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     assert sorted(map(tuple, QUERIES[name](spark, SMALL).collect())) == sorted(db.execute(SQL[name]).fetchall())
