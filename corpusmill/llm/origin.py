@@ -49,7 +49,7 @@ _MACHINE = re.compile(
 )
 _COPIED = re.compile(
     r"(?:(?:this is an? |an? )?(?:vendored|bundled|verbatim|unmodified|unchanged) (?:copy|version|from)\b|vendored\b|(?:this (?:file|module) (?:is|was) )?(?:copied|taken|imported|vendored) (?:unchanged|verbatim|unmodified|as is|as-is|without changes|in full) (?:from|out of)\b"
-    r"|.*\b(?:imported|copied|included|taken) (?:as is|as-is|verbatim|unchanged|unmodified)\b|.*\bsend (?:fixes|patches|changes|bugs) upstream\b|distributed with .{1,60} under its own licen[cs]e|this file is part of the .{1,60} (?:project|distribution|library)\b)",
+    r"|(?:this (?:file|module) (?:is|was) )?(?:copied|vendored) from\b|.*\b(?:imported|copied|included|taken) (?:as is|as-is|verbatim|unchanged|unmodified)\b|.*\bsend (?:fixes|patches|changes|bugs) upstream\b|distributed with .{1,60} under its own licen[cs]e|this file is part of the .{1,60} (?:project|distribution|library)\b)",
     re.I,
 )
 _DATA = re.compile(r"(?:(?:lookup|static|raw|embedded|token|character|unicode|binary|packed|precomputed|constant)\s+){1,2}(?:data|tables?|blobs?|weights|arrays?|constants)\.?\s*$", re.I)

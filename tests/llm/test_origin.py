@@ -14,7 +14,7 @@ SCHEMA = "file_path string, ext string, content string, notice int"
         ('"""Bindings for x. Produced automatically from a.idl; manual changes will be lost."""', "machine"), ("# Generated by hand-tool 1.0", "machine"), ("# THIS FILE WAS AUTOMATICALLY GENERATED BY x", "machine"),
         ("# Every generated token is checked against the list; edit with care.", None), ('"""Generates code that is generated by others."""', None), ("# Helpers for generated code", None), ('"""Vendors of parts, as a list."""', None),
         ('"""Vendored copy of a.b, release 1.2."""', "copied"), ("# Copied unchanged from a 1.2; please send fixes upstream.", "copied"), ("# upstream: a-1.2, imported as is", "copied"),
-        ("# Copyright (c) 2014 the A team\n# Distributed with a 1.2 under its own licence.", "copied"), ("# The idea is taken from another project.", None), ("# One routine was adapted from a 1.2.", None),
+        ("# Copyright (c) 2014 the A team\n# Distributed with a 1.2 under its own licence.", "copied"), ("# Copied from a 1.2", "copied"), ("# The loop below was copied from a 1.2.", None), ("# The idea is taken from another project.", None), ("# One routine was adapted from a 1.2.", None),
         ('"""Lookup data."""', "data"), ("# token table", "data"), ('"""Lookup data of the scheduler, read at startup."""', None),
         ("# SPDX-License-Identifier: MIT", "own"), ("# SPDX-License-Identifier: MIT\n# Code generated by x.", "machine"), ("", None), ("x = '# Code generated by y'", None),
     ],
