@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.storage import spread
+
 LEAST, ANCHOR = 200, 100
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -141,15 +143,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_passages(chunks: DataFrame) -> DataFrame:
-    """chunk_id_a < chunk_id_b, length_a, length_b, spans_a, spans_b: the pairs of chunks with at least LEAST characters in common."""
-    texts = chunks.select("chunk_id", "content").where(F.length("content") >= LEAST)
+    """chunk_id_a < chunk_id_b, length_a, length_b, spans_a, spans_b: the pairs of chunks with at least LEAST characters in common.
+
+    Spans are of code points, white space counts, and neighbouring or overlapping ones are one.
+    A chunk without id or content, or a shorter one, has no pair; a row that is given again with
+    the same id and content counts once, and other columns are ignored.
+    """
+    texts = spread(chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "content").where((F.length("content") >= LEAST) & F.col("chunk_id").isNotNull()))
     kept = texts.mapInArrow(_anchor_rows, "anchor bigint, chunk_id bigint")
     a, b = kept.withColumnRenamed("chunk_id", "chunk_id_a"), kept.withColumnRenamed("chunk_id", "chunk_id_b")
     pairs = a.join(b, "anchor").where("chunk_id_a < chunk_id_b").select("chunk_id_a", "chunk_id_b").distinct()
     for x in "ab":
         pairs = pairs.join(texts.select(F.col("chunk_id").alias(f"chunk_id_{x}"), F.col("content").alias(f"content_{x}")), f"chunk_id_{x}")
     spans = "array<struct<first:int,last:int>>"
-    return pairs.select("chunk_id_a", "chunk_id_b", "content_a", "content_b").mapInArrow(_verified, f"chunk_id_a bigint, chunk_id_b bigint, length_a int, length_b int, spans_a {spans}, spans_b {spans}")
+    found = pairs.select("chunk_id_a", "chunk_id_b", "content_a", "content_b").mapInArrow(_verified, f"chunk_id_a bigint, chunk_id_b bigint, length_a int, length_b int, spans_a {spans}, spans_b {spans}")
+    return found.dropDuplicates(["chunk_id_a", "chunk_id_b"])
 
 
 def _covered(spans: list) -> list[tuple[int, int]]:
@@ -163,11 +171,11 @@ def _covered(spans: list) -> list[tuple[int, int]]:
 
 
 def reappearances(chunks: DataFrame) -> DataFrame:
-    """chunk_id, spans, partners, share: for each chunk the parts found in other chunks, those chunks and the share of its content."""
+    """chunk_id, spans, partners, share: for each chunk the longest parts found in other chunks, those chunks and the share of its content; a chunk without any has no row."""
     pairs = shared_passages(chunks)
     sides = [pairs.select(F.col(f"chunk_id_{x}").alias("chunk_id"), F.col(f"chunk_id_{y}").alias("partner"), F.col(f"length_{x}").alias("length"), F.col(f"spans_{x}").alias("spans")) for x, y in ("ab", "ba")]
     of = sides[0].union(sides[1]).groupBy("chunk_id").agg(F.max("length").alias("length"), F.array_sort(F.collect_set("partner")).alias("partners"), F.flatten(F.collect_set("spans")).alias("spans"))
-    covered = F.udf(_covered, "array<struct<first:int,last:int>>")
+    covered = F.udf(_covered, "array<struct<first:int,last:int>>", useArrow=True)
     of = of.withColumn("spans", covered("spans"))
     share = F.aggregate("spans", F.lit(0), lambda n, x: n + x["last"] - x["first"]) / F.col("length")
     return of.select("chunk_id", "spans", "partners", share.alias("share"))

@@ -21,6 +21,17 @@ def test_passages_of_200_characters_are_found_and_of_199_are_not(spark):
     assert by[10].share == 1 and by[10].partners == [1, 2] and by[7].share == 1 and by[1].share == 200 / 537 and sorted(by) == [1, 2, 7, 8, 10]
 
 
+def test_repeated_rows_nulls_and_other_columns(spark):
+    rng = random.Random(8)
+    p = text(rng, 260)
+    rows = [(1, p, "x", 1), (1, p, "x", 1), (2, text(rng, 20) + p, None, 2), (None, p, "x", 3), (3, text(rng, 30_000) + p[:230], "y", None), (4, None, "y", 4)]
+    frame = spark.createDataFrame(rows, "chunk_id bigint, content string, anchor string, length_a int")
+    got = shared_passages(frame).collect()
+    assert sorted((x.chunk_id_a, x.chunk_id_b, [tuple(y) for y in x.spans_a]) for x in got) == [(1, 2, [(0, 260)]), (1, 3, [(0, 230)]), (2, 3, [(20, 250)])]
+    assert {x.chunk_id: (x.partners, round(x.share, 4)) for x in reappearances(frame).collect()} == {1: ([2, 3], 1.0), 2: ([1, 3], round(260 / 280, 4)), 3: ([1, 2], round(230 / 30_230, 4))}
+    assert shared_passages(frame.limit(0)).count() == 0 and reappearances(frame.limit(0)).count() == 0
+
+
 def test_any_shared_passage_keeps_an_anchor():
     rng = random.Random(6)
     for _ in range(60):
