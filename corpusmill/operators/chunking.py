@@ -24,14 +24,17 @@ def checked_limit(limit: object) -> int:
     return limit
 
 
-def spans_of(text: str, ext: str, limit: int, overlap: int | None = None, byte_columns: bool = False) -> tuple[list[C.Span], list[tuple[str, str]]]:
-    """The chunks of one file, and diagnostics as (kind, message); a Python text that doesn't parse has no chunks."""
+def spans_of(text: str, ext: str, limit: int, overlap: int | None = None, byte_columns: bool = False, split: C.Splitter = C.paragraphs) -> tuple[list[C.Span], list[tuple[str, str]]]:
+    """The chunks of one file, and diagnostics as (kind, message); a Python text that doesn't parse has no chunks.
+
+    `split` gives the paragraphs of texts and Python units, Markdown has its own.
+    """
     notes: list[tuple[str, str]] = []
 
     def too_long(size: int) -> None:
         notes.append(("long line", f"a line of {size} characters exceeds {limit} and is cut into windows"))
 
-    def pieces(first: int, last: int, split: C.Splitter = C.paragraphs) -> list[C.Span]:
+    def pieces(first: int, last: int, split: C.Splitter = split) -> list[C.Span]:
         return list(C.fragments(text, first, last, limit, overlap, split, too_long))
 
     if ext == "py":
@@ -48,7 +51,7 @@ def spans_of(text: str, ext: str, limit: int, overlap: int | None = None, byte_c
     return pieces(0, len(text)), notes
 
 
-def cut_files(files: DataFrame, limit: int = LIMIT, overlap: int | None = None, byte_columns: bool = False) -> DataFrame:
+def cut_files(files: DataFrame, limit: int = LIMIT, overlap: int | None = None, byte_columns: bool = False, split: C.Splitter = C.paragraphs) -> DataFrame:
     """The chunks of .txt, .md and .py files in one row each, and one row with `kind` and `message` for each diagnostic."""
     checked_limit(limit)
     names = [x.split()[0] for x in _ROW.split(", ")]
@@ -58,7 +61,7 @@ def cut_files(files: DataFrame, limit: int = LIMIT, overlap: int | None = None,
         for batch in batches:
             out: list[tuple] = []
             for path, ext, text in zip(*(batch[x].to_pylist() for x in ("file_path", "ext", "content"))):
-                spans, notes = spans_of(text, ext, limit, overlap, byte_columns)
+                spans, notes = spans_of(text, ext, limit, overlap, byte_columns, split)
                 out += [(path, ext, i, a, b, text[a:b], None, None) for i, (a, b) in enumerate(spans)]
                 out += [(path, ext, None, None, None, None, *x) for x in notes]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=names)
@@ -66,9 +69,9 @@ def cut_files(files: DataFrame, limit: int = LIMIT, overlap: int | None = None,
     return spread(files.where(F.col("content").isNotNull() & F.col("ext").isin("txt", "md", "py")).select("file_path", "ext", "content")).mapInArrow(rows, _ROW)
 
 
-def chunk_files(files: DataFrame, limit: int = LIMIT, overlap: int | None = None, byte_columns: bool = False) -> DataFrame:
+def chunk_files(files: DataFrame, limit: int = LIMIT, overlap: int | None = None, byte_columns: bool = False, split: C.Splitter = C.paragraphs) -> DataFrame:
     """file_path, ext, position, first_character_index, last_character_index, content of every chunk; the same content under one path counts once."""
-    rows = cut_files(files, limit, overlap, byte_columns).where("kind is null").drop("kind", "message")
+    rows = cut_files(files, limit, overlap, byte_columns, split).where("kind is null").drop("kind", "message")
     return rows.dropDuplicates(["file_path", "first_character_index", "last_character_index"])
 
 

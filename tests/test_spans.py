@@ -59,3 +59,24 @@ def test_numbers_follow_the_order_of_an_index(files):
     key = lambda x: (["txt", "md", "py"].index(x.ext), [y for y in (x.file_path or "").split("/") if y not in ("", ".")], x.first_character_index)
     assert [x.chunk_id for x in rows] == list(range(len(rows))) and [key(x) for x in rows] == sorted(map(key, rows))
     assert order.number_chunks(chunks.limit(0)).count() == 0
+
+
+def test_a_splitter_of_one_s_own(spark):
+    files = spark.createDataFrame([("a.txt", "txt", "one;two;three", 1)], SCHEMA)
+
+    def parts(text, start, end):
+        at = start
+        for piece in text[start:end].split(";"):
+            yield at, at + len(piece)
+            at += len(piece) + 1
+
+    got = chunking.chunk_files(files, 5, split=parts).orderBy("position").collect()
+    assert [x.content for x in got] == ["one", "two", "three"]
+
+
+def test_table_function_in_sql(spark):
+    from corpusmill.functions.registry import register
+
+    register(spark)
+    got = spark.sql("select k, position, c.content from values (1, 'one\n\ntwo'), (2, null) as t(k, content), lateral chunk_spans(t.content, 'txt', 4) as c").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "one"), (1, 1, "two")]
