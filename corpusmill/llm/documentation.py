@@ -40,19 +40,24 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sources(files: DataFrame) -> DataFrame:
-    return spread(files.where((F.col("ext") == "py") & F.col("content").isNotNull()).select("file_path", "content"))
+    return spread(files.where((F.col("ext") == "py") & F.col("file_path").isNotNull() & F.col("content").isNotNull()).select("file_path", "content"))
 
 
 def documented_names(files: DataFrame) -> DataFrame:
-    """file_path, qualname of every function with documentation of its own, once each."""
+    """file_path, qualname of every function with documentation of its own, once each.
+
+    Files without a path or content, empty ones, those that don't parse and other kinds of files
+    have no row; functions of one name in one file are one row.  Other columns are ignored.
+    """
     return _sources(files).mapInArrow(_names, "file_path string, qualname string").distinct()
 
 
 def code_descriptions(files: DataFrame) -> DataFrame:
     """file_path, qualname, first, last, code, description of every function with documentation of its own.
 
-    Offsets are code points.  Files without content have no rows; a path scanned again with the
-    same content counts once.
+    Offsets are code points.  Files without a path or content, empty ones and those that don't
+    parse have no rows; a path scanned again with the same content counts once, with another one
+    on its own.  Other columns are ignored.
     """
     rows = _sources(files).mapInArrow(_pairs, "file_path string, source string, qualname string, first int, last int, code string, description string")
     return rows.dropDuplicates(["file_path", "source", "first", "last"]).drop("source")

@@ -23,3 +23,13 @@ def test_search_finds_what_a_plain_search_finds():
         text = " ".join(rng.choice("abcd") for _ in range(rng.randrange(40)))
         plain = {i for i, t in items for j in range(len(t.split()) - 3) if f" {' '.join(t.split()[j : j + 4])} " in f" {text} "}
         assert Passages(items, 4).found(text) == plain
+
+
+def test_nulls_repeats_blocks_and_other_columns(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, TWELVE, 5, "a"), (1, TWELVE, 5, "a"), (None, TWELVE, 6, "a"), (2, "zero " * 100_000 + TWELVE, None, None), (3, "", 1, "b")], "doc_id bigint, text string, item_id bigint, suite string")
+    items = spark.createDataFrame([(10, TWELVE, 1), (10, TWELVE, 1), (11, "and " + TWELVE, None), (None, TWELVE, 3), (12, "", 4)], "item_id bigint, text string, doc_id bigint")
+    expected = [(d, i) for d in (1, 2) for i in (10, 11)]
+    assert sorted(map(tuple, contaminated(docs, items).collect())) == expected
+    monkeypatch.setattr("corpusmill.llm.contamination.BLOCK", 60)
+    assert sorted(map(tuple, contaminated(docs, items).collect())) == expected
+    assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0

@@ -30,3 +30,13 @@ def test_files_give_pairs_of_code_and_description(spark):
     assert [(x.file_path, x.qualname) for x in pairs] == names
     assert [x.description for x in pairs[:2]] == ["Gives the width of one row.", "Counts the rows that were read."]
     assert all(x.code == SOURCE[x["first"] : x["last"]] and x.code.startswith(("def method", "async def other")) for x in pairs)
+
+
+def test_nulls_repeats_long_texts_and_other_columns(spark):
+    long = "x = 1\n" * 50_000 + SOURCE
+    rows = [(None, "py", SOURCE, "a"), ("a.py", None, SOURCE, "a"), ("a.py", "py", SOURCE, None), ("a.py", "py", SOURCE, None), ("l.py", "py", long, "b")]
+    files = spark.createDataFrame(rows, "file_path string, ext string, content string, qualname string")
+    assert sorted(map(tuple, documented_names(files).collect())) == [(p, x) for p in ("a.py", "l.py") for x in ("Outer.method", "Outer.other")]
+    pairs = code_descriptions(files).collect()
+    assert len(pairs) == 4 and all(x.code == long[x["first"] : x["last"]] for x in pairs if x.file_path == "l.py")
+    assert documented_names(files.limit(0)).count() == 0 and code_descriptions(files.limit(0)).count() == 0

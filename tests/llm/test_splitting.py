@@ -38,3 +38,13 @@ def test_limits_of_runs(spark):
     rows = sorted(split_chunks(chunks, runs).collect())
     assert [(x.chunk_id, x.piece, x["first"], x["last"]) for x in rows] == [(2, 0, 0, 1101), (2, 1, 901, 2001), (3, 0, 0, 12), (3, 1, 10, 21)]
     assert all(len(x.content) == x["last"] - x["first"] for x in rows)
+
+
+def test_nulls_repeats_and_other_columns(spark):
+    schema = "chunk_id bigint, content string, run_id int, limit int, piece string"
+    chunks = spark.createDataFrame([(None, "x" * 99, 1, 5, "a"), (1, "", 1, None, None), (2, "ab " * 40_000, 1, 5, "a"), (3, "abcdef", 1, 1, None), (3, "abcdef", 1, 1, None)], schema)
+    runs = spark.createDataFrame([(1, 5, 9, 7), (1, 5, 9, 7), (None, 1, 1, 1), (2, -1, -5, 0)], "run_id int, max_chunk_size int, overlap int, limit int")
+    rows = split_chunks(chunks, runs).collect()
+    assert {x.chunk_id for x in rows} == {2, 3} and max(len(x.content) for x in rows) <= 5
+    assert sorted((x.piece, x["first"], x["last"]) for x in rows if x.chunk_id == 3) == [(0, 0, 5), (0, 0, 5), (1, 1, 6), (1, 1, 6)]
+    assert split_chunks(chunks.limit(0), runs).count() == 0 and split_chunks(chunks, runs.limit(0)).count() == 0
