@@ -3,7 +3,8 @@
 Windows are of code points, as a passage may begin and end inside a token.  Of the windows of
 ANCHOR characters, those with the least hash among their neighbours are kept, so that any two
 equal passages of LEAST characters keep an equal one; chunks that keep one in common are then
-compared by all their windows of LEAST characters.
+compared by all their windows of LEAST characters.  Copies of a chunk make a class, and only
+classes are compared.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.storage import spread
+from corpusmill.storage import cut, spread
 
 LEAST, ANCHOR = 200, 100
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -142,15 +143,23 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("chunk_id_a", pa.int64()), ("chunk_id_b", pa.int64()), ("length_a", pa.int32()), ("length_b", pa.int32()), ("spans_a", _SPANS), ("spans_b", _SPANS)]))
 
 
-def shared_passages(chunks: DataFrame) -> DataFrame:
-    """chunk_id_a < chunk_id_b, length_a, length_b, spans_a, spans_b: the pairs of chunks with at least LEAST characters in common.
+def _texts(chunks: DataFrame) -> DataFrame:
+    rows = chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("content").cast("string").alias("content"))
+    return spread(rows.where((F.length("content") >= LEAST) & F.col("chunk_id").isNotNull()))
 
-    Spans are of code points, white space counts, and neighbouring or overlapping ones are one.
-    A chunk without id or content, or a shorter one, has no pair; a row that is given again with
-    the same id and content counts once, and other columns are ignored.
-    """
-    texts = spread(chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "content").where((F.length("content") >= LEAST) & F.col("chunk_id").isNotNull()))
-    kept = texts.mapInArrow(_anchor_rows, "anchor bigint, chunk_id bigint")
+
+def copies(chunks: DataFrame) -> DataFrame:
+    """class_id, chunk_id, length: every chunk of at least LEAST characters with the least id of those with the same content."""
+    ids = _texts(chunks).select("chunk_id", F.length("content").alias("length"), F.sha2("content", 256).alias("digest"))
+    least = ids.groupBy("digest").agg(F.min("chunk_id").alias("class_id"))
+    return ids.join(least, "digest").select("class_id", "chunk_id", "length").distinct()
+
+
+def shared_between_classes(chunks: DataFrame, members: DataFrame) -> DataFrame:
+    """chunk_id_a < chunk_id_b, length_a, length_b, spans_a, spans_b: the pairs of classes with at least LEAST characters in common; a class goes by its least id."""
+    texts = _texts(chunks)
+    firsts = members.where("class_id = chunk_id").select("chunk_id")
+    kept = texts.mapInArrow(_anchor_rows, "anchor bigint, chunk_id bigint").join(firsts, "chunk_id", "left_semi").select("anchor", "chunk_id")
     a, b = kept.withColumnRenamed("chunk_id", "chunk_id_a"), kept.withColumnRenamed("chunk_id", "chunk_id_b")
     pairs = a.join(b, "anchor").where("chunk_id_a < chunk_id_b").select("chunk_id_a", "chunk_id_b").distinct()
     for x in "ab":
@@ -160,6 +169,29 @@ def shared_passages(chunks: DataFrame) -> DataFrame:
     return found.dropDuplicates(["chunk_id_a", "chunk_id_b"])
 
 
+def _whole(length: str) -> Column:
+    return F.array(F.struct(F.lit(0).alias("first"), F.col(length).cast("int").alias("last")))
+
+
+def shared_passages(chunks: DataFrame) -> DataFrame:
+    """chunk_id_a < chunk_id_b, length_a, length_b, spans_a, spans_b: the pairs of chunks with at least LEAST characters in common.
+
+    Only different contents are compared; pairs of copies, and those of copies of what was
+    compared, follow from the classes.  Spans are of code points, white space counts, and
+    neighbouring or overlapping ones are one.  A chunk without id or content, or a shorter one,
+    has no pair; a row that is given again with the same id and content counts once, and other
+    columns are ignored.
+    """
+    members = cut(copies(chunks))
+    of = {x: members.select(F.col("class_id").alias(f"class_{x}"), F.col("chunk_id").alias(f"chunk_id_{x}"), F.col("length").alias(f"length_{x}")) for x in "ab"}
+    between = shared_between_classes(chunks, members).select(F.col("chunk_id_a").alias("class_a"), F.col("chunk_id_b").alias("class_b"), F.col("spans_a").alias("x"), F.col("spans_b").alias("y"))
+    rows = between.join(of["a"], "class_a").join(of["b"], "class_b")
+    turned = F.col("chunk_id_a") > F.col("chunk_id_b")
+    ordered = [F.when(turned, F.col(p)).otherwise(F.col(q)).alias(name) for name, p, q in (("chunk_id_a", "chunk_id_b", "chunk_id_a"), ("chunk_id_b", "chunk_id_a", "chunk_id_b"), ("length_a", "length_b", "length_a"), ("length_b", "length_a", "length_b"), ("spans_a", "y", "x"), ("spans_b", "x", "y"))]
+    same = of["a"].join(of["b"], F.col("class_a") == F.col("class_b")).where("chunk_id_a < chunk_id_b")
+    return rows.select(*ordered).unionByName(same.select("chunk_id_a", "chunk_id_b", "length_a", "length_b", _whole("length_a").alias("spans_a"), _whole("length_b").alias("spans_b")))
+
+
 def _covered(spans: list) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for first, last in sorted(tuple(x) for x in spans):
@@ -172,10 +204,15 @@ def _covered(spans: list) -> list[tuple[int, int]]:
 
 def reappearances(chunks: DataFrame) -> DataFrame:
     """chunk_id, spans, partners, share: for each chunk the longest parts found in other chunks, those chunks and the share of its content; a chunk without any has no row."""
-    pairs = shared_passages(chunks)
-    sides = [pairs.select(F.col(f"chunk_id_{x}").alias("chunk_id"), F.col(f"chunk_id_{y}").alias("partner"), F.col(f"length_{x}").alias("length"), F.col(f"spans_{x}").alias("spans")) for x, y in ("ab", "ba")]
-    of = sides[0].union(sides[1]).groupBy("chunk_id").agg(F.max("length").alias("length"), F.array_sort(F.collect_set("partner")).alias("partners"), F.flatten(F.collect_set("spans")).alias("spans"))
+    members = cut(copies(chunks))
+    pairs = cut(shared_between_classes(chunks, members))
+    sides = [pairs.select(F.col(f"chunk_id_{x}").alias("class_id"), F.col(f"chunk_id_{y}").alias("other"), F.col(f"spans_{x}").alias("spans")) for x, y in ("ab", "ba")]
+    several = members.groupBy("class_id").agg(F.count("*").alias("n"), F.max("length").alias("length")).where("n > 1")
+    links = sides[0].union(sides[1]).unionByName(several.select("class_id", F.col("class_id").alias("other"), _whole("length").alias("spans")))
     covered = F.udf(_covered, "array<struct<first:int,last:int>>", useArrow=True)
-    of = of.withColumn("spans", covered("spans"))
+    spans = links.groupBy("class_id").agg(F.flatten(F.collect_set("spans")).alias("spans")).withColumn("spans", covered("spans"))
+    others = links.select("class_id", "other").join(members.select(F.col("class_id").alias("other"), F.col("chunk_id").alias("partner")), "other")
+    partners = others.groupBy("class_id").agg(F.array_sort(F.collect_set("partner")).alias("partners"))
     share = F.aggregate("spans", F.lit(0), lambda n, x: n + x["last"] - x["first"]) / F.col("length")
-    return of.select("chunk_id", "spans", "partners", share.alias("share"))
+    of = members.join(spans, "class_id").join(partners, "class_id")
+    return of.select("chunk_id", "spans", F.array_remove("partners", F.col("chunk_id")).alias("partners"), share.alias("share"))

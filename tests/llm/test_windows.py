@@ -32,6 +32,23 @@ def test_repeated_rows_nulls_and_other_columns(spark):
     assert shared_passages(frame.limit(0)).count() == 0 and reappearances(frame.limit(0)).count() == 0
 
 
+def test_copies_are_compared_once_and_lose_no_pair(spark):
+    rng = random.Random(9)
+    p, q = text(rng, 240), text(rng, 300)
+    rows = [(9, p + q), (2, p + q), (5, text(rng, 30) + p), (1, q + "|"), (7, q + "|"), (4, text(rng, 500)), (3, p + q)]
+    frame = spark.createDataFrame(rows, "chunk_id bigint, content string")
+    content = dict(rows)
+    expected = {(a, b) for a in content for b in content if a < b and shared_spans(content[a], content[b])[0]}
+    got = {(x.chunk_id_a, x.chunk_id_b): x for x in shared_passages(frame).collect()}
+    assert set(got) == expected and len(expected) == 3 + 3 + 6 + 1
+    for (a, b), x in got.items():
+        assert ([tuple(y) for y in x.spans_a], [tuple(y) for y in x.spans_b]) == shared_spans(content[a], content[b])
+        assert (x.length_a, x.length_b) == (len(content[a]), len(content[b]))
+    by = {x.chunk_id: x for x in reappearances(frame).collect()}
+    assert {i: x.partners for i, x in by.items()} == {i: sorted({a + b - i for a, b in expected if i in (a, b)}) for i in (1, 2, 3, 5, 7, 9)}
+    assert by[9].share == 1 and [tuple(x) for x in by[5].spans] == [(30, 270)]
+
+
 def test_any_shared_passage_keeps_an_anchor():
     rng = random.Random(6)
     for _ in range(60):
