@@ -12,17 +12,18 @@ from corpusmill.storage import cut
 def numbered(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """The rows with their place, from 0, in the order of the keys, which must tell all rows apart.
 
-    The rows are sorted by ranges; a place is a row's place in its range plus the rows of the
-    ranges before.
+    The rows are moved once, into sorted ranges, and written; a place is a row's place in its
+    range plus the rows of the ranges before.
     """
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [f"_key{i}" for i in range(len(keys))]
-    keyed = rows.withColumns(dict(zip(names, keys))).repartitionByRange(parts, *names).withColumn("_range", F.spark_partition_id())
-    keyed = cut(keyed)  # ranges come from a sample, and must be the same for both uses
-    least = keyed.groupBy("_range").agg(F.count("*").alias("n"), F.min(F.struct(*names)).alias("least"))
-    before = least.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*names))
-    return keyed.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("before") + F.col("_inside") - 1).drop("_range", "_inside", "before", *names)
+    ranges = rows.withColumns(dict(zip(names, keys))).repartitionByRange(parts, *names).sortWithinPartitions(*names).drop(*names)
+    held = cut(ranges).withColumn("_at", F.monotonically_increasing_id())  # the range's number, and 33 bits for the place in it
+    counts = held.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("n"))
+    before = counts.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    inside = F.col("_at").bitwiseAND((1 << 33) - 1)
+    placed = held.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(before), "_range")
+    return placed.withColumn(name, F.col("before") + inside).drop("_range", "_at", "before")
 
 
 def type_rank(ext: Column) -> Column:

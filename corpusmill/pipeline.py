@@ -20,7 +20,7 @@ RESULTS, ANSWERS = "data/output/search_results", "data/output/search_results_and
 def index(spark: SparkSession, raw: str = RAW, folder: str = INDEX, limit: int = chunking.LIMIT) -> Index:
     """Cuts the files below `raw` and replaces the index in `folder`."""
     files = chunking.require_files(load_files(spark, raw))
-    chunks = order.number_chunks(cut(chunking.chunk_files(files, chunking.checked_limit(limit))))
+    chunks = order.number_chunks(chunking.chunk_files(files, chunking.checked_limit(limit)))
     return Index(spark, folder).build(chunks.select("chunk_id", "file_path", "first_character_index", "last_character_index", "content"))
 
 
