@@ -17,11 +17,15 @@ UNANSWERED = "data/datasets/UnansweredQuestions/dataset_docs_public.json"
 RESULTS, ANSWERS = "data/output/search_results", "data/output/search_results_and_answer"
 
 
+def index_files(files: DataFrame, folder: str = INDEX, limit: int = chunking.LIMIT) -> Index:
+    """Cuts the files and replaces the index in `folder`."""
+    chunks = order.number_chunks(chunking.chunk_files(chunking.require_files(files), chunking.checked_limit(limit)))
+    return Index(files.sparkSession, folder).build(chunks.select("chunk_id", "file_path", "first_character_index", "last_character_index", "content"))
+
+
 def index(spark: SparkSession, raw: str = RAW, folder: str = INDEX, limit: int = chunking.LIMIT) -> Index:
-    """Cuts the files below `raw` and replaces the index in `folder`."""
-    files = chunking.require_files(load_files(spark, raw))
-    chunks = order.number_chunks(chunking.chunk_files(files, chunking.checked_limit(limit)))
-    return Index(spark, folder).build(chunks.select("chunk_id", "file_path", "first_character_index", "last_character_index", "content"))
+    """The same with the files below `raw`."""
+    return index_files(load_files(spark, raw), folder, limit)
 
 
 def search_dataset(spark: SparkSession, dataset: str = UNANSWERED, k: int = 5, save: str = f"{RESULTS}/UnansweredQuestions", folder: str = INDEX) -> str:
