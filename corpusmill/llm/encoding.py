@@ -3,10 +3,12 @@
 1. Running text (what is neither fenced nor between backticks) is cut at its ASCII words; what
    lies between two of them, where it isn't ASCII, is a passage.  Its key is those words: the
    text around it, stripped of all other characters.
-2. Passages with equal keys are near-twins.  The most frequent ones of a key are taken as clean;
-   runs of non-ASCII characters are aligned one by one, and each chain of encodings that turns
-   the clean run into the other one gets a vote, which counts for the one with most votes.  A
-   chain with votes is a learned mapping.
+2. Passages with equal keys are near-twins, of which the more frequent one is taken as clean.
+   Where their other characters agree, runs of non-ASCII characters are aligned one by one, and
+   each chain of encodings that turns the clean run into the other one gets a vote.  Of the
+   chains of two runs, the one with most votes is a learned mapping.  All near-twins and all of
+   their runs vote, but for two that a still more frequent run was turned into: neither of
+   them is clean.
 3. The mappings are undone wherever that makes the text likelier, by the counts of adjacent
    characters in all passages.  A replacement character in running text is a decoding
    that can't be undone.
@@ -17,7 +19,8 @@ from __future__ import annotations
 import codecs
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from corpusmill.storage import cut, spread
 #: Public encodings that are tried; the first ones have a character a byte.
 SINGLE = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac-roman", "mac-cyrillic", "cp437", "cp850", "cp852", "cp1253", "cp1254", "cp1257", "iso8859-15")
 MULTI = ("gbk", "cp932", "big5", "euc_kr", "euc_jp")
-#: Passages of a key that the others are compared with.
-REFERENCES = 5
+#: At a place with at most so many runs, each two are compared; at others, those that share bytes, which gives the same votes.
+PAIRED = 32
 #: Buckets of the counts of adjacent characters in each of two tables, of which the smaller count holds; they have this size whatever the corpus.
 BUCKETS = 1 << 20
 #: By how much (natural logarithm) an undone run must be likelier; and all of a document's together, in logarithms of the number of passages, as chance finds more among more.
@@ -177,53 +180,71 @@ def undo(text: str, chain: Chain) -> str | None:
 
 
 class Votes:
-    """The chains that turn a clean run of characters into another one."""
+    """The chains that turn a clean run into another one, by the bytes that both stand for."""
 
     def __init__(self) -> None:
         self.known: dict[tuple[str, str], tuple[Chain, ...]] = {}
+        self.bytes: dict[str, dict[bytes, list[Chain]]] = {}
+        self.room = [2_000_000, 200_000]  # for the characters of either
 
-    @staticmethod
-    def candidates(clean: str, other: str) -> Iterator[Chain]:
-        """The chains that can turn the first character of one run into the first one of the other."""
-        data = clean.encode("utf-8", "replace")
-        seen = [(b, CODECS[b].back.get(ord(other[0]))) for b in SINGLE]
-        wide = [b for b in MULTI if ord(other[0]) > 0x7FF or ord(other[0]) in range(0x370, 0x460)]
-        if len(other) == len(data):
-            yield from (("utf-8", b) for b, byte in seen if byte == data[0])
-        elif len(other) > len(data):
+    def written(self, clean: str) -> dict[bytes, list[Chain]]:
+        """The bytes that a chain reads last, each with the chains up to there."""
+        found = self.bytes.get(clean)
+        if found is None:
+            found = {}
+            for name, codec in CODECS.items():
+                try:
+                    found.setdefault(codec.encode(clean), []).append((name,))
+                except ValueError:
+                    pass
+            data = clean.encode("utf-8", "replace")
             for a in SINGLE:
-                again = CODECS[a].out[data[0]].encode()[0]
-                yield from (("utf-8", a, "utf-8", b) for b, byte in seen if byte == again)
-        yield from (("utf-8", b) for b in wide)
-        for a in SINGLE:
-            byte = CODECS[a].back.get(ord(clean[0]))
-            if byte is not None:
-                if len(clean) == len(other):
-                    yield from ((a, b) for b, x in seen if x == byte and a != b)
-                yield from ((a, b) for b in wide)
-        if ord(clean[0]) > 0x36F:
-            yield from ((a, b) for a in MULTI for b in (*SINGLE, *wide) if a != b)
+                found.setdefault(CODECS[a].decode(data).encode(), []).append(("utf-8", a, "utf-8"))
+            self.room[1] -= len(clean)
+            if self.room[1] < 0:
+                self.bytes.clear()
+                self.room[1] = 200_000
+            self.bytes[clean] = found
+        return found
+
+    @staticmethod
+    def read(other: str) -> Iterator[tuple[str, bytes]]:
+        """The single-byte encodings that can have given a run, and the bytes that they read."""
+        for b in SINGLE:
+            try:
+                yield b, CODECS[b].encode(other)
+            except ValueError:
+                pass
 
     def of(self, clean: str, other: str) -> tuple[Chain, ...]:
         found = self.known.get((clean, other))
         if found is None:
-            found = tuple(c for c in self.candidates(clean, other) if garble(clean, c) == other)
-            if len(self.known) > 200_000:
+            written = self.written(clean)
+            chains = [(*c, b) for b, data in self.read(other) for c in written.get(data, ()) if c != (b,)]
+            for data, begun in written.items():
+                if any(len(c) == 1 for c in begun):
+                    chains += [(*c, b) for b in MULTI if _decoded(data, b) == other for c in begun if len(c) == 1 and c != (b,)]
+            self.room[0] -= len(clean) + len(other)
+            if self.room[0] < 0:
                 self.known.clear()
-            self.known[clean, other] = found
+                self.room[0] = 2_000_000
+            found = self.known[clean, other] = tuple(chains)
         return found
 
-    def pair(self, clean: str, other: str) -> list[tuple[Chain, str]]:
-        """Chain and aligned runs, for each chain that explains the first two runs that differ."""
-        if _LOST in clean or _LOST in other or _RUN.sub("\x1a", clean) != _RUN.sub("\x1a", other):
-            return []
-        runs = [(x, y) for x, y in zip(_RUN.findall(clean), _RUN.findall(other)) if x != y]
-        if not runs:
-            return []
-        chains = set(self.of(*runs[0]))
-        for x, y in runs[1:2]:
-            chains &= set(self.of(x, y))
-        return [(c, f"{x}\0{y}") for c in chains for x, y in runs[:2]]
+    def made(self, clean: str) -> set[bytes]:
+        """One of these is among the sources() of every run that a chain makes of this one."""
+        texts = {_decoded(data, b) for data, begun in self.written(clean).items() if any(len(c) == 1 for c in begun) for b in MULTI}
+        return {b"b" + x for x in self.written(clean)} | {b"t" + x.encode() for x in texts if x}
+
+    def sources(self, other: str) -> set[bytes]:
+        return {b"b" + data for _, data in self.read(other)} | {b"t" + other.encode("utf-8", "replace")}
+
+
+def _decoded(data: bytes, name: str) -> str | None:
+    try:
+        return data.decode(name)
+    except ValueError:
+        return None
 
 
 def _buckets(texts: list[str]) -> np.ndarray:
@@ -356,12 +377,16 @@ class Restorer:
         return best, "".join(out) + text[end:]
 
 
+def _hash(text: str | bytes) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: Counter[tuple[int, str]] = Counter()
         for text in batch["text"].to_pylist():
             for key, gap in set(passages(text)):
-                rows[xxhash.xxh64_intdigest(key) - (1 << 63) if key else 0, gap] += 1
+                rows[_hash(key) if key else 0, gap] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], names=["key", "passage", "n"])
 
 
@@ -376,11 +401,51 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
 
-def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of passages; a place is a key, the other characters of a passage and a run's number."""
+    for batch in batches:
+        rows: list[tuple[int, str, int]] = []
+        for key, passage, n in zip(*(batch[c].to_pylist() for c in ("key", "passage", "n"))):
+            if _LOST not in passage:
+                shape = _RUN.sub("\x80", passage[1:-1])
+                rows += [(_hash(f"{key} {i} {shape}"), run, n) for i, run in enumerate(_RUN.findall(passage[1:-1]))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.int64())], names=["place", "run", "n"])
+
+
+def _link_rows(links: Callable[[Votes, str], set[bytes]], names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    votes = Votes()
+    for batch in batches:
+        for part in (batch.slice(i, 500) for i in range(0, len(batch), 500)):  # a run has up to some 150 links
+            rows = [(_hash(place.to_bytes(8, signed=True) + x), id_, n) for place, id_, run, n in zip(*(part[c].to_pylist() for c in ("place", "id", "run", "n"))) for x in links(votes, run)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(3)], names=names)
+
+
+def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     votes = Votes()
     for batch in batches:
-        found = {(">".join(c), runs) for clean, other in zip(batch["clean"].to_pylist(), batch["passage"].to_pylist()) for c, runs in votes.pair(clean[1:-1], other[1:-1])}
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([r for _, r in found], pa.string())], names=["chain", "runs"])
+        chains = [[">".join(c) for c in votes.of(*x)] for x in zip(batch["clean"].to_pylist(), batch["other"].to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chains, pa.list_(pa.string()))], names=[*batch.schema.names, "chains"]).filter(pa.array([bool(x) for x in chains], pa.bool_()))
+
+
+def _votes(passages: DataFrame) -> DataFrame:
+    """clean, other, chain: for all aligned runs of all near-twins, each chain that turns the clean one into the other."""
+    runs = passages.where("key != 0").select("key", "passage", "n").mapInArrow(_run_rows, "place bigint, run string, n bigint")
+    runs = cut(runs.groupBy("place", "run").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    runs = cut(runs.join(runs.groupBy("place").agg(F.count("*").alias("size")).where("size > 1"), "place"))
+    few, many = runs.where(F.col("size") <= PAIRED), runs.where(F.col("size") > PAIRED).withColumn("id", F.xxhash64("place", "run"))
+    pairs = few.select("place", F.col("run").alias("clean"), "most").join(few.select("place", F.col("run").alias("other"), "least"), "place")
+    pairs = pairs.where("clean != other and least <= most").select("place", "clean", "other", "most")
+    made = many.select("place", "id", "run", F.col("most").alias("n")).mapInArrow(partial(_link_rows, Votes.made, ["link", "clean_id", "most"]), "link bigint, clean_id bigint, most bigint")
+    sources = many.select("place", "id", "run", F.col("least").alias("n")).mapInArrow(partial(_link_rows, Votes.sources, ["link", "other_id", "least"]), "link bigint, other_id bigint, least bigint")
+    linked = made.join(sources, "link").where("clean_id != other_id and least <= most").select("clean_id", "other_id").distinct()
+    linked = linked.join(many.select("place", F.col("id").alias("clean_id"), F.col("run").alias("clean"), "most"), "clean_id")
+    linked = linked.join(many.select(F.col("id").alias("other_id"), F.col("run").alias("other")), "other_id")
+    pairs = pairs.union(linked.select("place", "clean", "other", "most"))
+    pairs = cut(pairs.mapInArrow(_chain_rows, "place bigint, clean string, other string, most bigint, chains array<string>"))
+    first = pairs.select("place", F.col("clean").alias("first"), F.col("other").alias("clean"), F.col("most").alias("first_most"))
+    both = first.join(pairs, ["place", "clean"]).where("first_most > most").select("place", "first", "clean", "other")
+    both = both.join(pairs.select("place", F.col("clean").alias("first"), "other"), ["place", "first", "other"], "left_semi")
+    return pairs.join(both, ["place", "clean", "other"], "left_anti").select("clean", "other", F.explode("chains").alias("chain")).distinct()
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -394,15 +459,11 @@ def _restorer(documents: DataFrame) -> Restorer:
     counts = np.zeros(2 * BUCKETS, dtype=np.int64)
     table = found.select("passage", "n").mapInArrow(_count_rows, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # two tables of BUCKETS rows at most
     counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    keyed = found.where("key != 0")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "passage"))
-    clean = keyed.withColumn("place", place).where(F.col("place") <= REFERENCES).select("key", F.col("passage").alias("clean"), F.col("n").alias("clean_n"))
-    pairs = keyed.join(clean, "key").where("passage != clean and n <= clean_n").select("clean", "passage")
-    votes = cut(pairs.mapInArrow(_vote_rows, "chain string, runs string").distinct())
+    votes = cut(_votes(found))
     support = F.broadcast(votes.groupBy("chain").count())  # CHAINS bounds its rows
-    first = F.row_number().over(Window.partitionBy("runs").orderBy(F.desc("count"), F.length("chain"), "chain"))
-    won = votes.join(support, "chain").withColumn("place", first).where("place = 1").groupBy("chain").agg(F.count("*").alias("n")).collect()
-    chains = sorted(c for c, n in ((tuple(x.chain.split(">")), x.n) for x in won) if n >= VOTES or c[0] == "utf-8")
+    first = F.row_number().over(Window.partitionBy("clean", "other").orderBy(F.desc("count"), F.length("chain"), "chain"))
+    won = votes.join(support, "chain").withColumn("place", first).where("place = 1").select("chain", "count").distinct().collect()
+    chains = sorted(tuple(chain.split(">")) for chain, n in won if n >= VOTES or chain.startswith("utf-8>"))
     return Restorer(chains, Likelihood(counts, found.agg(F.sum("n")).first()[0] or 0))
 
 
