@@ -15,7 +15,8 @@ Generator = Callable[[str, str], str]
 
 def contexts(results: DataFrame, texts: DataFrame, longest: int = CONTEXT) -> DataFrame:
     """question_id, context: the texts of each question's results, best first, with a blank line between, cut to `longest` characters."""
-    held = results.select("question_id", "rank", "chunk_id").join(texts.select("chunk_id", "content"), "chunk_id")
+    begun = texts.select("chunk_id", F.substring("content", 1, longest).alias("content"))  # no more of any text can be in a context
+    held = results.select("question_id", "rank", "chunk_id").join(begun, "chunk_id")
     of = held.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("parts"))
     return of.select("question_id", F.substring(F.array_join(F.transform("parts", lambda x: x["content"]), "\n\n"), 1, longest).alias("context"))
 
