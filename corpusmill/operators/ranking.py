@@ -160,7 +160,7 @@ def best(held: DataFrame, asked: DataFrame, k: int, df: np.ndarray, score: Calla
     """
     spark = held.sparkSession
     blocks, n = max(1, math.ceil(int(df.sum()) / POSTINGS)), asked.count()
-    groups = max(1, math.ceil(n / GROUP), min(math.ceil(2 * spark.sparkContext.defaultParallelism / blocks), n // LEAST_GROUP))
+    groups = max(1, math.ceil(n / GROUP), min(math.ceil(spark.sparkContext.defaultParallelism / blocks), n // LEAST_GROUP))
     place = np.empty(len(df), np.int64)
     place[np.lexsort((np.arange(len(df)), -df))] = np.arange(len(df))
     shared, kind = spark.sparkContext.broadcast(place), dict(held.dtypes)["chunk_id"]
