@@ -17,7 +17,7 @@ def moved(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "context_assembly", "answers", "search_sources"])
+@pytest.mark.parametrize("name", ["bm25_topk", "context_assembly", "answers", "search_sources", "search_results_nested"])
 def test_no_row_for_each_chunk_that_shares_a_term_with_a_question(spark, tmp_path, name):
     spark.createDataFrame([(i, f"{i}.md", 0, 9, f"common words {i}") for i in range(400)], CHUNK).write.parquet(f"{tmp_path}/chunks.parquet")
     spark.createDataFrame([(f"q{i}", f"common words w{i}") for i in range(400)], QUESTION).write.parquet(f"{tmp_path}/rag_questions.parquet")
