@@ -174,6 +174,6 @@ def best(held: DataFrame, asked: DataFrame, k: int, df: np.ndarray, score: Calla
         return pa.table([numbers, chunks["chunk_id"].take(pa.array(at)), pa.array(scores)], names)
 
     cell = F.col("block") * groups + F.col("group")
-    left = held.where(F.size("terms") > 0).select(F.pmod(F.hash("chunk_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "*").withColumn("cell", cell).drop("block", "group")
+    left = held.where(F.col("chunk_id").isNotNull() & (F.size("terms") > 0)).select(F.pmod(F.hash("chunk_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "*").withColumn("cell", cell).drop("block", "group")
     right = asked.where(F.size("terms") > 0).select(F.pmod(F.hash("number"), F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "*").withColumn("cell", cell).drop("block", "group")
     return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(rows, f"number bigint, chunk_id {kind}, score double")

@@ -61,3 +61,9 @@ def test_a_question_after_another_begins_with_its_own_sums():
     for bag, expected in ((((0, 1), (1, 1)), [(0, 5.0), (1, 2.0)]), (((0, 1),), [(1, 2.0), (0, 1.0)]), (((0, 2), (2, 1)), [(1, 5.0), (2, 3.0)]), (((1, 1), (2, 1)), [(0, 4.0), (2, 4.0)])):
         found, units = block.best(bag)
         assert list(zip(found.tolist(), (units / 10**ranking.PLACES).tolist())) == expected
+
+
+def test_a_chunk_without_an_id_is_no_result(spark):
+    chunks = spark.createDataFrame([(None, "a", 0, 1, "word"), (1, "a", 0, 1, "word other")], CHUNK)
+    questions = spark.createDataFrame([("q", "word")], QUESTION)
+    assert [x.chunk_id for x in bm25.ranked_chunks(chunks, questions, 3).collect()] == [1]
